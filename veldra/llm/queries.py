@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veldra.catalog import Catalog, table
+from veldra.llm.leaks import leaked_items
 from veldra.llm.repetition import repetition_scores, repetitive_documents
 from veldra.llm.tokens import encode_corpus
 
@@ -15,6 +16,12 @@ def p6_ids(spark, folder):
     return encode_corpus(table(spark, folder, "documents"))
 
 
+@CATALOG.query()
+def p7_found(spark, folder):
+    """Documents with each held-out item that leaked into them."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 @CATALOG.query()
 def p8_found(spark, folder):
     """Documents of which at least 0.30 is repeated."""
