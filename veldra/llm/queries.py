@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veldra.catalog import Catalog, table
+from veldra.llm.clusters import cluster_members, describe_clusters
 from veldra.llm.leaks import leaked_items
 from veldra.llm.repetition import repetition_scores, repetitive_documents
 from veldra.llm.tokens import encode_corpus
@@ -10,6 +11,19 @@ from veldra.llm.tokens import encode_corpus
 CATALOG = Catalog()
 
 
+@CATALOG.query()
+def p3_found(spark, folder):
+    """Members of clusters of three or more alike vectors, each with the cluster's first id."""
+    members = cluster_members(table(spark, folder, "session_vectors"))
+    return members.where("vector_id <> first_id").select("first_id", "vector_id")
+
+
+@CATALOG.query()
+def p3_clusters(spark, folder):
+    """Size and the three most typical members of every cluster."""
+    return describe_clusters(cluster_members(table(spark, folder, "session_vectors")))
+
+
 @CATALOG.query()
 def p6_ids(spark, folder):
     """Token ids of every document."""
