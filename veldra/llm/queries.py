@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veldra.catalog import Catalog, table
 from veldra.llm.clusters import cluster_members, describe_clusters
+from veldra.llm.percentiles import PERCENTILES, combine_grids, exact_percentiles, percentile_grids
 from veldra.llm.leaks import leaked_items
 from veldra.llm.repetition import repetition_scores, repetitive_documents
+from veldra.llm.reservoir import reservoir_sample
 from veldra.llm.tokens import encode_corpus
 
 CATALOG = Catalog()
 
+def _kinds():
+    return {"protocol": F.col("protocol_type"), "sensor": F.col("sensor_id"), "category": F.col("category"), "day": F.date_format("captured_at", "yyyy-MM-dd")}
+
+
+_GROUPS_SQL = """WITH rows_of AS (
+  SELECT 'protocol' AS kind, protocol_type AS value_of, duration AS v FROM connections
+  UNION ALL SELECT 'sensor', sensor_id, duration FROM connections
+  UNION ALL SELECT 'category', category, duration FROM connections
+  UNION ALL SELECT 'day', strftime(captured_at, '%Y-%m-%d'), duration FROM connections
+  UNION ALL SELECT 'field', field_name, mean_value FROM summary_numeric),
+ranked AS (SELECT kind, value_of, v + 0.0 AS v, count(*) OVER (PARTITION BY kind, value_of) AS n,
+  row_number() OVER (PARTITION BY kind, value_of ORDER BY v) AS r FROM rows_of WHERE v IS NOT NULL AND NOT isnan(v))
+"""
+
+
+@CATALOG.query(_GROUPS_SQL + f"SELECT kind, value_of, n, CAST(pct AS INTEGER) AS pct, v AS value FROM ranked, unnest({list(PERCENTILES)}) AS p(pct) WHERE r = greatest(1, (pct * n + 999) // 1000)")
+def p1_percentiles(spark, folder):
+    """Exact percentiles of duration by protocol, sensor, category and day, and of mean_value by field."""
+    durations = exact_percentiles(table(spark, folder, "connections"), _kinds(), "duration")
+    means = exact_percentiles(table(spark, folder, "summary_numeric"), {"field": F.col("field_name")}, "mean_value")
+    return durations.unionByName(means)
+
+
+@CATALOG.query()
+def p1_combined(spark, folder):
+    """The same from combined results of single days, with the bound of the rank error."""
+    durations = percentile_grids(table(spark, folder, "connections"), _kinds(), "duration", F.to_date("captured_at"))
+    means = percentile_grids(table(spark, folder, "summary_numeric"), {"field": F.col("field_name")}, "mean_value", F.to_date("run_at"))
+    return combine_grids(durations).unionByName(combine_grids(means))
+
 
 @CATALOG.query()
 def p3_found(spark, folder):
@@ -24,6 +58,13 @@ def p3_clusters(spark, folder):
     return describe_clusters(cluster_members(table(spark, folder, "session_vectors")))
 
 
+@CATALOG.query()
+def p5_sample(spark, folder):
+    """A uniform sample of 1000 of the connections as stored."""
+    rows = table(spark, folder, "connections").select("conn_id", "batch_id", "sensor_id", "captured_at", "arrived_at", "duration")
+    return reservoir_sample(rows, 1000)
+
+
 @CATALOG.query()
 def p6_ids(spark, folder):
     """Token ids of every document."""
