@@ -6,6 +6,7 @@ subtracted from the raw offsets by an anti-join, and only that remainder is diag
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ PROTOCOLS = ("icmp", "tcp", "udp")
 #: One field: quoted with doubled quotes within, or free of quotes. Possessive, so that no line makes the matcher go back.
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _LINE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+$"
-_NUMBER = r"^[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?$"
+_NUMBER = r"[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?"
 
 
 def line_of(raw: Column) -> Column:
@@ -53,21 +54,27 @@ def _trim(x: Column) -> Column:
 def number_of(field: Column) -> Column:
     """A continuous field as double; null where it is empty or NA (or no number)."""
     x = _trim(field)
-    return F.when(x.rlike(_NUMBER), x.try_cast("double"))
+    return F.when(x.rlike(f"^{_NUMBER}$"), x.try_cast("double"))
 
 
-def _number_fits(field: Column, rate: bool) -> Column:
-    x, v = _trim(field), number_of(field)
-    fits = (v >= 0) & (v <= 1 if rate else v < float("inf"))
-    return (x == "") | (x == "NA") | F.coalesce(fits, F.lit(False))
+def _joined_fit(f: Column, at: Sequence[int], most: float) -> Column:
+    """Whether the fields at ``at`` are all numbers from 0 to ``most``, finite, or missing.
+
+    One pattern over all of them, joined: a field that holds a comma makes too many of them.
+    """
+    if not at:
+        return F.lit(True)
+    joined = F.concat_ws(",", *[f[i] for i in at])
+    one = rf"\s*+(?:NA|{_NUMBER})?+\s*+"
+    numbers = F.transform(F.split(F.regexp_replace(joined, r"(?U)\s++", ""), ","), lambda x: x.try_cast("double"))
+    in_range = (F.coalesce(F.array_min(numbers), F.lit(0.0)) >= 0) & (F.coalesce(F.array_max(numbers), F.lit(0.0)) <= most)
+    return F.when(joined.rlike(rf"(?U)^{one}(?:,{one}){{{len(at) - 1}}}$"), in_range).otherwise(False)
 
 
 def values_fit(f: Column, columns: Sequence[str] = COLUMNS) -> Column:
     """Whether every field of an array of as many fields as ``columns`` has a valid value."""
     numbers = [i for i, c in enumerate(columns) if c not in SYMBOLIC]
-    plain = F.array(*[f[i] for i in numbers if not columns[i].endswith("_rate")])
-    rates = F.array(*[f[i] for i in numbers if columns[i].endswith("_rate")])
-    ok = F.forall(plain, lambda x: _number_fits(x, False)) & F.forall(rates, lambda x: _number_fits(x, True))
+    ok = F.lit(True)
     for i, c in enumerate(columns):
         if c == "protocol_type":
             ok = ok & f[i].isin(*PROTOCOLS)
@@ -75,7 +82,14 @@ def values_fit(f: Column, columns: Sequence[str] = COLUMNS) -> Column:
             ok = ok & f[i].isin("0", "1")
         elif c in SYMBOLIC:
             ok = ok & (f[i] != "")
-    return ok
+    plain, rates = [i for i in numbers if not columns[i].endswith("_rate")], [i for i in numbers if columns[i].endswith("_rate")]
+    return ok & _joined_fit(f, plain, sys.float_info.max) & _joined_fit(f, rates, 1.0)
+
+
+def _parsed(line: Column, columns: Sequence[str]) -> Column:
+    """n, fits, f of a line with sound quoting. The fields are bound once, not copied into every use."""
+    one = lambda f: F.struct(F.size(f).alias("n"), F.when(F.size(f) == len(columns), values_fit(f, columns)).otherwise(False).alias("fits"), f.alias("f"))
+    return F.transform(F.array(fields_of(line)), one)[0]
 
 
 def load_valid(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line", columns: Sequence[str] = COLUMNS) -> DataFrame:
@@ -89,8 +103,7 @@ def load_valid(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line", c
 
 def _conforming(raw: DataFrame, row_id: str, line: str, columns: Sequence[str]) -> DataFrame:
     lines = raw.select(F.col(row_id).alias("__id"), line_of(F.col(line)).alias("__line")).where(carries_data(F.col("__line")) & F.col("__line").rlike(_LINE))
-    split = lines.select("__id", fields_of(F.col("__line")).alias("__f")).where(F.size("__f") == len(columns))
-    return split.where(values_fit(F.col("__f"), columns))
+    return lines.select("__id", _parsed(F.col("__line"), columns).alias("__p")).where("__p.fits").select("__id", F.col("__p.f").alias("__f"))
 
 
 def _typed(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
@@ -109,13 +122,8 @@ def failing_rows(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line",
     rest = raw.select(F.col(row_id).alias("__id"), F.col(line).alias("__raw")).join(loaded, "__id", "left_anti")
     rest = rest.select("__id", line_of(F.col("__raw")).alias("__line")).where(carries_data(F.col("__line")))
     sound = F.col("__line").rlike(_LINE)
-    f = F.when(sound, fields_of(F.col("__line")))
-    judged = rest.select("__id", sound.alias("__sound"), f.alias("__f"))
-    reason = (
-        F.when(~F.col("__sound"), "quoting")
-        .when(F.size("__f") != len(columns), "column_count")
-        .when(~values_fit(F.col("__f"), columns), "invalid_value")
-    )
+    judged = rest.select("__id", F.when(sound, _parsed(F.col("__line"), columns)).alias("__p"))
+    reason = F.when(F.col("__p").isNull(), "quoting").when(F.col("__p.n") != len(columns), "column_count").when(~F.col("__p.fits"), "invalid_value")
     return judged.select(F.col("__id").alias(row_id), reason.alias("reason")).where("reason is not null")
 
 
