@@ -29,9 +29,7 @@ ranked AS (SELECT kind, value_of, v + 0.0 AS v, count(*) OVER (PARTITION BY kind
 """
 
 
-@CATALOG.query(_GROUPS_SQL + f"SELECT kind, value_of, n, CAST(pct AS INTEGER) AS pct, v AS value FROM ranked, unnest({list(PERCENTILES)}) AS p(pct) WHERE r = greatest(1, (pct * n + 999) // 1000)")
-def p1_percentiles(spark, folder):
-    """Exact percentiles of duration by protocol, sensor, category and day, and of mean_value by field."""
+def _exact(spark, folder):
     durations = exact_percentiles(table(spark, folder, "connections"), _kinds(), "duration")
     means = exact_percentiles(table(spark, folder, "summary_numeric"), {"field": F.col("field_name")}, "mean_value")
     return durations.unionByName(means)
@@ -39,10 +37,19 @@ def p1_percentiles(spark, folder):
 
 @CATALOG.query()
 def p1_combined(spark, folder):
-    """The same from combined results of single days, with the bound of the rank error."""
-    durations = percentile_grids(table(spark, folder, "connections"), _kinds(), "duration", F.to_date("captured_at"))
-    means = percentile_grids(table(spark, folder, "summary_numeric"), {"field": F.col("field_name")}, "mean_value", F.to_date("run_at"))
-    return combine_grids(durations).unionByName(combine_grids(means))
+    """Percentiles combined from the results of the single pieces, with the bound of their rank error, beside the exact ones."""
+    durations = percentile_grids(table(spark, folder, "connections"), _kinds(), "duration", F.col("batch_id"))
+    means = percentile_grids(table(spark, folder, "summary_numeric"), {"field": F.col("field_name")}, "mean_value", F.col("batch_id"))
+    combined = combine_grids(durations.unionByName(means)).withColumnRenamed("value", "combined")
+    a, b = combined.alias("a"), _exact(spark, folder).alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & F.col("a.value_of").eqNullSafe(F.col("b.value_of")) & (F.col("a.pct") == F.col("b.pct"))
+    return a.join(b, same).select("a.kind", "a.value_of", "a.n", "a.pct", "b.value", "a.combined", "a.rank_error")
+
+
+@CATALOG.query(_GROUPS_SQL + f"SELECT kind, value_of, n, CAST(pct AS INTEGER) AS pct, v AS value FROM ranked, unnest({list(PERCENTILES)}) AS p(pct) WHERE r = greatest(1, (pct * n + 999) // 1000)")
+def p1_percentiles(spark, folder):
+    """Exact percentiles of duration by protocol, sensor, category and day, and of mean_value by field."""
+    return _exact(spark, folder)
 
 
 @CATALOG.query()
