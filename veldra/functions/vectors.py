@@ -30,7 +30,7 @@ def to_columns(df: DataFrame, features: str, size: int) -> DataFrame:
 
 
 def to_storage(features: Column, id: Column | None = None, as_sparse: bool = False) -> Column:
-    """size, values, indices, id; dense if indices are empty."""
+    """size, values, indices, id; dense unless there are fewer values than elements."""
     size = F.size(features).alias("size")
     name = (id.cast("string") if id is not None else F.lit("")).alias("id")
     if not as_sparse:
@@ -42,7 +42,7 @@ def to_storage(features: Column, id: Column | None = None, as_sparse: bool = Fal
 def from_storage(v: Column) -> Column:
     """array<double> of the storage form."""
     full = F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.when(F.array_position(v["indices"], i) > 0, F.get(v["values"], (F.array_position(v["indices"], i) - 1).cast("int"))).otherwise(0.0))
-    return F.when(F.size(v["indices"]) == 0, v["values"]).otherwise(full)
+    return F.when(F.size(v["values"]) == v["size"], v["values"]).otherwise(full)
 
 
 def long_key(id: Column) -> Column:
