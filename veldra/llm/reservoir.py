@@ -227,10 +227,14 @@ class Reservoir:
         self.scratch = Scratch(spark, "reservoir")
         self.pieces, self.seen = 0, 0
         self.rows: DataFrame | None = None
+        self.names: list[str] | None = None
 
     def add(self, df: DataFrame) -> None:
         self.pieces += 1
         seed = self.seed + 7919 * self.pieces
+        if self.names is None:
+            self.names = df.columns
+        df = df.toDF(*[f"c{i}" for i in range(len(self.names))])  # columns may have any names
         rng = np.random.default_rng([seed, 2])
         shards = self.scratch.put(_shards(df, self.size, seed, f"{self.scratch.path}/segments", self.memory), f"shards-{self.pieces}")
         new, n_new = _merge(self.spark, shards, self.size, rng)
@@ -248,7 +252,7 @@ class Reservoir:
     def sample(self) -> DataFrame:
         if self.rows is None:
             raise ValueError("add a piece first")
-        return self.rows
+        return self.rows.toDF(*self.names)
 
     def stream(self, rows: DataFrame):
         """A streaming query that adds every micro-batch as a piece."""
