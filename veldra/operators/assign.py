@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.operators.centers import Centers, CentersIndex
-from veldra.operators.covariance import covariance, dense_matrix, inverse, matrix_of
+from veldra.operators.covariance import covariance, dense_matrix, groups_of, inverse, matrix_of
 
 _ASSIGNED = "vector_id string, cluster_id int, closest_center_id int, distance double"
 
@@ -83,11 +83,9 @@ def outliers(vectors: DataFrame, clusterings: dict[int, Centers], covariances: D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, rows = matrix_of(b.column(4))
-            group = np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()])[rows]
             out = np.empty(len(rows))
-            for k, i in {tuple(g) for g in group.tolist()}:
-                at = (group == (k, i)).all(1)
-                mean, inv = shared.value[k, i]
+            for group, at in groups_of(b.column(1).to_numpy()[rows], b.column(2).to_numpy()[rows]):
+                mean, inv = shared.value[group]
                 d = x[at] - mean
                 out[at] = np.einsum("ij,jk,ik->i", d, inv, d)
             t = pa.array(rows)

@@ -53,6 +53,15 @@ def matrix_of(b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[fine], rows[fine]
 
 
+def groups_of(*columns: np.ndarray) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """Each distinct row of small integer columns, with the places that hold it."""
+    both = np.column_stack(columns)
+    distinct, which = np.unique(both, axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    bounds = np.cumsum(np.bincount(which.ravel(), minlength=len(distinct)))[:-1] if len(distinct) else []
+    return [(tuple(map(int, d)), at) for d, at in zip(distinct, np.split(order, bounds))]
+
+
 def covariance(df: DataFrame, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
     """``by``, ``row``, ``column`` (row <= column), ``n``, ``mean_row``, ``mean_column``, ``cov``.
 
@@ -68,9 +77,10 @@ def covariance(df: DataFrame, features: str = "features", by: Sequence[str] = ()
         parts: dict[str, CoMoment] = {}
         for b in batches:
             x, at = matrix_of(b.column(1))
-            keys, which = np.unique(np.array(b.column(0).to_pylist(), object)[at].astype(str), return_inverse=True)
-            for i, k in enumerate(keys):
-                m = CoMoment.of(x[which == i])
+            coded = b.column(0).dictionary_encode()
+            which, keys = coded.indices.to_numpy()[at], coded.dictionary.to_pylist()
+            for i in np.unique(which):
+                k, m = keys[i], CoMoment.of(x[which == i])
                 parts[k] = parts[k].merge(m) if k in parts else m
         if parts:
             yield pa.RecordBatch.from_pydict({"key": list(parts), "n": [m.n for m in parts.values()], "mean": [m.mean.tolist() for m in parts.values()], "c": [m.c.ravel().tolist() for m in parts.values()]})

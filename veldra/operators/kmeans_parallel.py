@@ -9,35 +9,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veldra.functions.uniform import hash_uniform
 from veldra.operators.assign import assign, closest_counts
 from veldra.operators.centers import Centers
-from veldra.operators.covariance import matrix_of
-from veldra.operators.sampling import crossfold, grouped_sample
+from veldra.operators.covariance import groups_of, matrix_of
+from veldra.operators.sampling import crossfold
 
 
-def distances_to_fold(vectors: DataFrame, candidates: dict[int, Centers]) -> DataFrame:
-    """``vectors`` (id, features, fold) with ``d2``, the squared distance to the own fold's nearest candidate; zeros left out."""
+def sketch_round(vectors: DataFrame, candidates: dict[int, Centers], per_round: int, seed: int) -> DataFrame:
+    """``fold``, ``id``, ``features``, ``d2``: a round's new candidates, ``per_round`` in each fold.
+
+    ``vectors`` has ``id``, ``features``, ``fold``. Vectors are drawn by the squared distance to their
+    own fold's nearest candidate: those of greatest log(u) / d2; candidates themselves don't take
+    part. A task hands on its own best ``per_round`` of each fold only.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(candidates)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
         for b in batches:
             x, rows = matrix_of(b.column(1))
-            fold = b.column(2).to_numpy()[rows]
-            d2 = np.zeros(len(rows))
-            for f in np.unique(fold):
-                d2[fold == f] = shared.value[int(f)].closest(x[fold == f])[1]
-            t = pa.array(rows[d2 > 0])
-            yield pa.RecordBatch.from_arrays([*(c.take(t) for c in b.columns), pa.array(d2[d2 > 0])], names=["id", "features", "fold", "d2"])
-
-    return vectors.select("id", "features", "fold").mapInArrow(score, "id string, features array<double>, fold int, d2 double")
-
-
-def sketch_round(vectors: DataFrame, candidates: dict[int, Centers], per_round: int, seed: int) -> DataFrame:
-    """``fold``, ``id``, ``features``, ``d2``: a round's new candidates, drawn by squared distance in each fold."""
-    scored = distances_to_fold(vectors, candidates)
-    return grouped_sample(scored, per_round, ["fold"], ["id"], F.col("d2"), seed).select("fold", "id", "features", "d2")
+            if not len(rows):
+                continue
+            fold, u = b.column(2).to_numpy()[rows], b.column(3).to_numpy()[rows]
+            for (f,), at in groups_of(fold):
+                d2 = shared.value[f].closest(x[at])[1]
+                at, d2 = at[d2 > 0], d2[d2 > 0]
+                score = np.log(u[at]) / d2
+                if len(score) > per_round:  # all rows as good as the last one that counts, for ties
+                    keep = score >= np.partition(score, -per_round)[-per_round]
+                    at, d2, score = at[keep], d2[keep], score[keep]
+                take = pa.array(rows[at])
+                t = pa.table([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(d2), pa.array(score)], names=["id", "features", "fold", "d2", "score"])
+                t = pa.concat_tables([held[f], t]) if f in held else t
+                held[f] = t.sort_by([("score", "descending"), ("id", "ascending")]).slice(0, per_round).combine_chunks()
+        for t in held.values():
+            yield from t.to_batches()
+
+    scored = vectors.select("id", "features", "fold", hash_uniform(seed, "id").alias("u")).mapInArrow(best, "id string, features array<double>, fold int, d2 double, score double")
+    rank = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("r", rank).where(F.col("r") <= per_round).select("fold", "id", "features", "d2")
 
 
 def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int = 2, seeds: Sequence[Sequence[float]] | None = None, seed: int = 1729) -> DataFrame:
@@ -90,11 +103,9 @@ def _means(placed: DataFrame) -> DataFrame:
         sums: dict[tuple, list] = {}
         for b in batches:
             x, rows = matrix_of(b.column(2))
-            group = np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()])[rows]
-            for k, i in {tuple(g) for g in group.tolist()}:
-                at = (group == (k, i)).all(1)
-                s = sums.setdefault((k, i), [0, np.zeros(x.shape[1])])
-                s[0] += int(at.sum())
+            for group, at in groups_of(b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows]):
+                s = sums.setdefault(group, [0, np.zeros(x.shape[1])])
+                s[0] += len(at)
                 s[1] += x[at].sum(0)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([i for _, i in sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([s.tolist() for _, s in sums.values()], pa.list_(pa.float64()))], names=["cluster_id", "closest_center_id", "n", "s"])
@@ -103,5 +114,3 @@ def _means(placed: DataFrame) -> DataFrame:
     cells = parts.select("cluster_id", "closest_center_id", "n", F.posexplode("s").alias("at", "v")).groupBy("cluster_id", "closest_center_id", "at").agg((F.sum("v") / F.sum("n")).alias("v"))
     return cells.groupBy("cluster_id", "closest_center_id").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("center"))
 
-
-__all__ = ["distances_to_fold", "hash_uniform", "lloyds", "sketch", "sketch_round"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from veldra.operators.assign import assign
@@ -24,7 +25,9 @@ def cluster_table(df: DataFrame, id_column: str, k: int, ignored: list[str] = ()
     """Profile, normalize, sketch, cluster and assign: the summary, the centers, the assignment."""
     summary = summarize(df, ignored=[id_column, *ignored])
     vectors = normalize(df, summary, id_column, transform)
-    x, w = sketch_arrays(sketch(vectors, rounds, per_round, 1, seed=seed))
+    held = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # read once for all rounds; lost blocks are computed anew
+    x, w = sketch_arrays(sketch(held, rounds, per_round, 1, seed=seed))
+    held.unpersist()
     runs = grid(x, w, [k], best_of, seed)
     best = runs[select_best(runs, x, w)]
     return summary, best, assign(vectors, {0: best})
