@@ -287,9 +287,9 @@ def _d2(a: str, b: str) -> str:
 
 def _nearest_sql(points: str, centers_sql: str) -> str:
     """CTEs p (id, v), c (cluster_id, center_id, center) and a, the assignment."""
-    return f"""WITH p AS ({points}), c AS ({centers_sql}),
-d AS (SELECT id, v, cluster_id, center_id, {_d2('v', 'center')} AS d2 FROM p, c),
-a AS (SELECT id, v, cluster_id, center_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY id, cluster_id ORDER BY d2, center_id) AS r FROM d) WHERE r = 1)
+    return f"""WITH p AS (SELECT row_number() OVER () AS pid, * FROM ({points})), c AS ({centers_sql}),
+d AS (SELECT pid, id, v, cluster_id, center_id, {_d2('v', 'center')} AS d2 FROM p, c),
+a AS (SELECT id, v, cluster_id, center_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY pid, cluster_id ORDER BY d2, center_id) AS r FROM d) WHERE r = 1)
 """
 
 
