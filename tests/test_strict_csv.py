@@ -1,5 +1,6 @@
 import pytest
 
+from veldra.plans.scratch import Scratch
 from veldra.sources.strict_csv import COLUMNS, SYMBOLIC, failing_rows, load_report, load_valid
 
 BASE = [("tcp" if c == "protocol_type" else "0" if c in ("land", "logged_in", "is_host_login", "is_guest_login") else "x" if c in SYMBOLIC else "0") for c in COLUMNS]
@@ -51,3 +52,21 @@ def test_empty_table_and_report(spark):
     assert failing_rows(frame(spark, ["x"]).limit(0)).count() == 0 and load_valid(frame(spark, ["x"]).limit(0)).count() == 0
     got = {r.reason: r.n_rows for r in load_report(frame(spark, [line(), line(), "", "0", 'a"'])).collect()}
     assert got == {"loaded": 2, "skipped": 1, "column_count": 1, "quoting": 1}
+
+
+def test_only_the_remainder_is_diagnosed(spark, monkeypatch):
+    """The plan before the remainder judges quoting once, in the load; the diagnosis reads the remainder alone."""
+    plans, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(self, df, name))
+    judged = failing_rows(frame(spark, [line(), "0", 'a"', ""]))
+    assert len(plans) == 1 and plans[0].count("LeftAnti") == 1 and plans[0].count("RLIKE ^(?:") == 0
+    before = plans[0].split("LeftAnti")[1]
+    assert plans[0].count(".fits") == before.count(".fits") == 1
+    after = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in after and "__raw" in after
+    assert {r.row_id: r.reason for r in judged.collect()} == {1: "column_count", 2: "quoting"}
+
+
+def test_a_remainder_as_large_as_the_table(spark):
+    df = frame(spark, [line()] * 3 + ["0"] * 500)
+    assert failing_rows(df).count() == 500 and load_valid(df).count() == 3

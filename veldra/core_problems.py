@@ -64,7 +64,8 @@ def p4_loaded(spark, folder):
     return load_valid(table(spark, folder, "raw_rows"))
 
 
-@CATALOG.query()
+@CATALOG.query(_FIELDS_SQL + f"""SELECT reason, count(*) AS n_rows FROM (SELECT 'skipped' AS reason FROM l WHERE coalesce(line = '' OR starts_with(line, '#'), TRUE)
+UNION ALL SELECT CASE WHEN NOT sound THEN 'quoting' WHEN len(f) <> {len(COLUMNS)} THEN 'column_count' WHEN ({_valid_sql()}) THEN 'loaded' ELSE 'invalid_value' END FROM p) GROUP BY 1""")
 def p4_report(spark, folder):
     """How many rows loaded, were skipped, or failed for each reason."""
     return load_report(table(spark, folder, "raw_rows"))

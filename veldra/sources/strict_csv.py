@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldra.plans.scratch import Scratch
+
 #: The 42 columns of the files in order.
 COLUMNS = (
     "duration protocol_type service flag src_bytes dst_bytes land wrong_fragment urgent hot num_failed_logins logged_in "
@@ -111,25 +113,42 @@ def _typed(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     return rows.select(F.col("__id").alias(row_id), *[(f[i] if c in SYMBOLIC else number_of(f[i])).alias(c) for i, c in enumerate(columns)])
 
 
+def _remainder(raw: DataFrame, loaded: DataFrame, row_id: str, line: str, scratch: Scratch) -> DataFrame:
+    """``__id``, ``__raw`` of the rows that weren't loaded.
+
+    Offsets alone are subtracted; only the lines of what is left are fetched. The result is written,
+    since the optimizer would otherwise push the diagnosis below the joins, onto every row.
+    """
+    left = raw.select(F.col(row_id).alias("__id")).join(loaded, "__id", "left_anti")
+    lines = raw.select(F.col(row_id).alias("__id"), F.col(line).alias("__raw"))
+    fetched = lines.join(left, "__id", "left_semi").unionByName(lines.where("__id is null"))
+    return scratch.put(fetched, "remainder")
+
+
+def _diagnosed(rest: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
+    lines = rest.select("__id", line_of(F.col("__raw")).alias("__line")).where(carries_data(F.col("__line")))
+    sound = F.col("__line").rlike(_LINE)
+    judged = lines.select("__id", F.when(sound, _parsed(F.col("__line"), columns)).alias("__p"))
+    reason = F.when(F.col("__p").isNull(), "quoting").when(F.col("__p.n") != len(columns), "column_count").when(~F.col("__p.fits"), "invalid_value")
+    return judged.select(F.col("__id").alias(row_id), reason.alias("reason")).where("reason is not null")
+
+
 def failing_rows(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line", columns: Sequence[str] = COLUMNS) -> DataFrame:
     """``row_id`` and ``reason`` of each failing row: the first of ``quoting``, ``column_count``, ``invalid_value``.
 
     ``row_id`` must be unique; a row whose ``row_id`` is null is never subtracted by the anti-join
     but is diagnosed all the same, so it comes out exactly if it fails. A line of any length is
-    handled whole.
+    handled whole. Rows that load are parsed once; the diagnosis reads the remainder only.
     """
     loaded = _conforming(raw, row_id, line, columns).select("__id")
-    rest = raw.select(F.col(row_id).alias("__id"), F.col(line).alias("__raw")).join(loaded, "__id", "left_anti")
-    rest = rest.select("__id", line_of(F.col("__raw")).alias("__line")).where(carries_data(F.col("__line")))
-    sound = F.col("__line").rlike(_LINE)
-    judged = rest.select("__id", F.when(sound, _parsed(F.col("__line"), columns)).alias("__p"))
-    reason = F.when(F.col("__p").isNull(), "quoting").when(F.col("__p.n") != len(columns), "column_count").when(~F.col("__p.fits"), "invalid_value")
-    return judged.select(F.col("__id").alias(row_id), reason.alias("reason")).where("reason is not null")
+    return _diagnosed(_remainder(raw, loaded, row_id, line, Scratch(raw.sparkSession, "strict")), row_id, columns)
 
 
 def load_report(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line", columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """``reason``, ``n_rows`` of all rows: loaded, skipped and each reason of failure."""
+    """``reason``, ``n_rows`` of all rows: loaded, skipped and each reason of failure; reasons without rows don't come out."""
+    scratch = Scratch(raw.sparkSession, "report")
+    loaded = scratch.put(_conforming(raw, row_id, line, columns).select("__id"), "loaded")
+    failed = _diagnosed(_remainder(raw, loaded, row_id, line, scratch), row_id, columns)
     skipped = raw.where(~carries_data(line_of(F.col(line)))).select(F.lit("skipped").alias("reason"))
-    loaded = load_valid(raw, row_id, line, columns).select(F.lit("loaded").alias("reason"))
-    parts = skipped.unionByName(loaded).unionByName(failing_rows(raw, row_id, line, columns).select("reason"))
+    parts = skipped.unionByName(loaded.select(F.lit("loaded").alias("reason"))).unionByName(failed.select("reason"))
     return parts.groupBy("reason").agg(F.count("*").alias("n_rows"))
