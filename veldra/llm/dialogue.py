@@ -9,7 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
-_MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\[[^\[\]]{0,200}\]")
+#: Markup and bracketed sounds of any length; a bracket ends within its cue, at the latest before the next time.
+_MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\[(?:[^\[\]-]|-(?!->))*+\]")
 _LINE_ENDS = re.compile(r"\r\n?|[  \x85\x0b\x0c]")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠﻿\x00-\x08\x0e-\x1f]")
 _CP1252 = {chr(b): b for b in range(128, 256)} | {bytes([b]).decode("cp1252"): b for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
