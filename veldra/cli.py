@@ -15,6 +15,9 @@ from veldra.plans.workflow import sketch_arrays
 from veldra.roles import Header, is_numeric, resolve
 from veldra.sources import records
 
+#: A sketch starts from this many vectors at most.
+MOST_SEEDS = 100_000
+
 
 class CommandError(Exception):
     """A command that can't be run as given."""
@@ -156,10 +159,12 @@ def sample(spark, a):
     """A sample of records: of a size, by weight, per group, or by probability."""
     if (a.size > 0) == (a.prob > 0):
         raise CommandError("give either a size or a probability")
-    df = _records(spark, a)
-    ids = df.columns  # equal rows share their chance; the order of rows doesn't matter
+    lines = a.format.lower() == "text" and not a.header_file
+    if lines and (a.group_fields or a.weight_field):
+        raise CommandError("groups and weights need a header file")
+    df = records.read_lines(spark, a.input_paths, a.comment_char) if lines else _records(spark, a)
     if a.prob:
-        out = sampling.bernoulli_sample(df, a.prob, ids, a.seed)
+        out = sampling.bernoulli_sample(df, a.prob, None, a.seed)
     else:
         weight = None
         if a.weight_field:
@@ -168,12 +173,15 @@ def sample(spark, a):
                 raise CommandError(f"{name} is not numeric")
             weight = sampling.clean_weight(df[name], a.weight_invert, a.weight_default)
         if a.group_fields:
-            out = sampling.grouped_sample(df, a.size, resolve(df.columns, a.group_fields), ids, weight, a.seed)
+            out = sampling.grouped_sample(df, a.size, resolve(df.columns, a.group_fields), None, weight, a.seed)
         elif weight is not None:
-            out = sampling.weighted_sample(df, a.size, ids, weight, a.seed)
+            out = sampling.weighted_sample(df, a.size, None, weight, a.seed)
         else:
-            out = sampling.uniform_sample(df, a.size, ids, a.seed)
-    _write(out, a)
+            out = sampling.uniform_sample(df, a.size, None, a.seed)
+    if lines and a.output_type.lower() == "csv":
+        records.write_records(out, a.output_path, "csv", a.csv_delim, exact=True, compress=a.compress, table=a.output_table)
+    else:
+        _write(out, a)
 
 
 def _showvec_flags(p):
@@ -188,6 +196,14 @@ def showvec(spark, a):
         print(r.id, r.features)
 
 
+def _seeds(spark, a) -> list[list[float]]:
+    """The first vectors, which come to the driver as part of the sketch: at most ``MOST_SEEDS``."""
+    found = records.read_vectors(spark, a.init_vectors_path, a.format).select("features").distinct().limit(MOST_SEEDS + 1).collect()
+    if len(found) > MOST_SEEDS:
+        raise CommandError(f"more than {MOST_SEEDS} different first vectors")
+    return sorted(list(r.features) for r in found)
+
+
 def _ksketch_flags(p):
     _shared(p, vectors_in=True, seed=True)
     p.add_argument("--init-vectors-path")
@@ -202,8 +218,8 @@ def _ksketch_flags(p):
 @command("ksketch", _ksketch_flags)
 def ksketch(spark, a):
     """A weighted sketch of the vectors for each fold."""
-    seeds = [r.features for r in records.read_vectors(spark, a.init_vectors_path, a.format).collect()] if a.init_vectors_path else None
-    points = kmeans_parallel.sketch(_vectors(spark, a), a.iterations, a.points_per_iteration, a.cross_folds, seeds, a.seed)
+    seeds = _seeds(spark, a) if a.init_vectors_path else None
+    points = kmeans_parallel.sketch(_vectors(spark, a), a.iterations, a.points_per_iteration, a.cross_folds, seeds, a.seed, True, bits=a.index_bits, candidates=a.index_samples)
     points.write.mode("overwrite").parquet(a.output_file)
 
 
@@ -243,7 +259,8 @@ def kmeans(spark, a):
         print(text, end="")
         Path(a.eval_stats_file).write_text(text)
         if a.eval_details_file:
-            Path(a.eval_details_file).write_text(evaluate.details_csv(details))
+            with Path(a.eval_details_file).open("a") as out:
+                out.write(evaluate.details_csv(details, header=out.tell() == 0))
 
 
 def _lloyds_flags(p):

@@ -84,20 +84,24 @@ class CentersIndex:
         """For each clustering the place of the nearest center and its squared distance."""
         if not approx:
             return [c.closest(x) for c in self.clusterings]
-        own = self.signature(x).astype(np.int16)
+        own = np.where(self.signature(x), np.float32(1), np.float32(-1))
         out = []
         for c, s in zip(self.clusterings, self.signatures):
             if len(c) <= self.candidates:
                 out.append(c.closest(x))
                 continue
-            t = s.astype(np.int16)
-            hamming = own.sum(1)[:, None] + t.sum(1) - 2 * own @ t.T
-            near = np.sort(np.argsort(hamming, axis=1, kind="stable")[:, : self.candidates], axis=1)
-            d = x[:, None, :] - c.points[near]
-            d2 = np.einsum("ijk,ijk->ij", d, d)
-            k = d2.argmin(1)
-            rows = np.arange(len(x))
-            out.append((near[rows, k], d2[rows, k]))
+            # products of signs fall as Hamming distances grow; the place decides between equal ones
+            rank = (self.bits - own @ np.where(s, np.float32(1), np.float32(-1)).T).astype(np.int64) * len(c) + np.arange(len(c))
+            near = np.sort(np.argpartition(rank, self.candidates - 1, axis=1)[:, : self.candidates], axis=1)
+            at, d2 = np.empty(len(x), np.int64), np.empty(len(x))
+            step = max(1, 4_000_000 // (self.candidates * x.shape[1]))
+            for k in range(0, len(x), step):
+                d = x[k : k + step, None, :] - c.points[near[k : k + step]]
+                some = np.einsum("ijk,ijk->ij", d, d)
+                best = some.argmin(1)
+                rows = np.arange(len(some))
+                at[k : k + step], d2[k : k + step] = near[k : k + step][rows, best], some[rows, best]
+            out.append((at, d2))
         return out
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from veldra.operators.centers import Centers
 
 STABLE = 0.8
+#: The heads of both files and the format of a line of statistics.
+STATS_HEADER = "ID,NumClusters,TestCost,TrainCost,PredStrength,StableClusters,StablePoints"
+STATS_LINE = "{ID:d},{NumClusters:d},{TestCost:.2f},{TrainCost:.2f},{PredStrength:.4f},{StableClusters:.2f},{StablePoints:.4f}"
+DETAILS_HEADER = "ClusteringId,CenterId,NumPoints,PredictionStrength"
 
 
 def crosstab(points: DataFrame, test: str, train: str, weight: Column | None = None) -> DataFrame:
@@ -56,10 +60,9 @@ def evaluate_sketch(test: Centers, train: Centers, x: np.ndarray, w: np.ndarray,
 
 
 def stats_csv(rows: list[dict]) -> str:
-    out = ["ID,NumClusters,TestCost,TrainCost,PredStrength,StableClusters,StablePoints"]
-    out += ["{ID:d},{NumClusters:d},{TestCost:.2f},{TrainCost:.2f},{PredStrength:.4f},{StableClusters:.2f},{StablePoints:.4f}".format(**r) for r in rows]
+    out = [STATS_HEADER, *(STATS_LINE.format(**r) for r in rows)]
     return "\n".join(out) + "\n"
 
 
-def details_csv(rows: list[tuple]) -> str:
-    return "".join(["ClusteringId,CenterId,NumPoints,PredictionStrength\n", *(f"{a},{b},{n:g},{s:.4f}\n" for a, b, n, s in rows)])
+def details_csv(rows: list[tuple], header: bool = True) -> str:
+    return "".join([DETAILS_HEADER + "\n"] * header + [f"{a},{b},{n:g},{s:.4f}\n" for a, b, n, s in rows])

@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldra.functions.uniform import hash_uniform
-from veldra.operators.assign import assign, closest_counts
-from veldra.operators.centers import Centers
+from veldra.operators.assign import assign
+from veldra.operators.centers import Centers, CentersIndex
 from veldra.operators.covariance import groups_of, matrix_of
 from veldra.operators.sampling import crossfold
+from veldra.plans.joins import salted_join
+from veldra.plans.scratch import Scratch
 
 
-def sketch_round(vectors: DataFrame, candidates: dict[int, Centers], per_round: int, seed: int) -> DataFrame:
+def sketch_round(vectors: DataFrame, so_far: dict[int, Centers], per_round: int, seed: int, approx: bool = False, **index) -> DataFrame:
     """``fold``, ``id``, ``features``, ``d2``: a round's new candidates, ``per_round`` in each fold.
 
     ``vectors`` has ``id``, ``features``, ``fold``. Vectors are drawn by the squared distance to their
-    own fold's nearest candidate: those of greatest log(u) / d2; candidates themselves don't take
-    part. A task hands on its own best ``per_round`` of each fold only.
+    own fold's nearest candidate in ``so_far``: those of greatest log(u) / d2; candidates themselves
+    don't take part. A task hands on its own best ``per_round`` of each fold only. ``approx`` looks for the
+    nearest among the candidates of nearest signatures; ``index`` has its ``bits`` and ``candidates``.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(candidates)
+    shared = vectors.sparkSession.sparkContext.broadcast({f: CentersIndex([c], **index) for f, c in so_far.items()})
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, pa.Table] = {}
@@ -35,7 +38,7 @@ def sketch_round(vectors: DataFrame, candidates: dict[int, Centers], per_round:
                 continue
             fold, u = b.column(2).to_numpy()[rows], b.column(3).to_numpy()[rows]
             for (f,), at in groups_of(fold):
-                d2 = shared.value[f].closest(x[at])[1]
+                d2 = shared.value[f].nearest(x[at], approx)[0][1]
                 at, d2 = at[d2 > 0], d2[d2 > 0]
                 score = np.log(u[at]) / d2
                 if len(score) > per_round:  # all rows as good as the last one that counts, for ties
@@ -53,31 +56,68 @@ def sketch_round(vectors: DataFrame, candidates: dict[int, Centers], per_round:
     return scored.withColumn("r", rank).where(F.col("r") <= per_round).select("fold", "id", "features", "d2")
 
 
-def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int = 2, seeds: Sequence[Sequence[float]] | None = None, seed: int = 1729) -> DataFrame:
+def identified(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id``, ``features`` as a table in the shared folder, in which every row has an id of its own.
+
+    Rows with a null, empty or repeated id get their place in the table behind it.
+    """
+    rows = vectors.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.col("features").cast("array<double>").alias("features"))
+    rows = scratch.put(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
+    often = scratch.put(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id = ''").select("id", F.lit(True).alias("often")), "often")
+    if often.isEmpty():
+        return rows.select("id", "features")
+    named = salted_join(rows, often, ["id"], ["place"], "left")
+    return scratch.put(named.select(F.when(F.col("often"), F.concat_ws("#", "id", F.col("place").cast("string"))).otherwise(F.col("id")).alias("id"), "features"), "named")
+
+
+def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int = 2, seeds: Sequence[Sequence[float]] | None = None, seed: int = 1729, approx: bool = False, **index) -> DataFrame:
     """``fold``, ``point_id``, ``features``, ``weight``: weighted candidate centers of each fold.
 
-    ``vectors`` has unique ``id`` and ``features``; without ``seeds`` the vector of the smallest id
-    starts each fold. A candidate's weight is the number of its fold's vectors nearest to it.
-    The driver holds folds x (seeds + rounds x per_round) vectors, whatever the data's size.
+    ``vectors`` has ``id`` and ``features``; without ``seeds`` the vector of the smallest id
+    starts each fold. Rows without an id of their own are told apart by their place. A candidate's
+    weight is the number of its fold's vectors nearest to it. An empty table gives the seeds, if any,
+    with weight 0. The driver holds folds x (seeds + rounds x per_round) vectors, whatever the
+    data's size.
     """
-    rows = crossfold(vectors.select(F.col("id").cast("string").alias("id"), F.col("features").cast("array<double>").alias("features")), folds, ["id"], seed)
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "sketch")
+    known = identified(vectors, scratch)
+    rows = scratch.put(crossfold(known, folds, ["id"], seed), "folds")
+    scratch.drop("vectors"), scratch.drop("named")
     if seeds is None:
-        first = vectors.where("features is not null").orderBy("id").limit(1).collect()
+        first = rows.where("features is not null").orderBy("id").limit(1).collect()
         seeds = [r.features for r in first]
     candidates = {f: Centers(seeds) for f in range(folds)}
-    for k in range(rounds):
-        more: dict[int, list] = {}
-        for r in sketch_round(rows, candidates, per_round, seed + k + 1).orderBy("fold", "id").collect():
-            more.setdefault(r.fold, []).append(r.features)
-        candidates = {f: c.extended(more.get(f, [])) for f, c in candidates.items()}
-    spark = vectors.sparkSession
+    if all(len(c) for c in candidates.values()):
+        for k in range(rounds):
+            more: dict[int, list] = {}
+            for r in sketch_round(rows, candidates, per_round, seed + k + 1, approx, **index).orderBy("fold", "id").collect():
+                more.setdefault(r.fold, []).append(r.features)
+            candidates = {f: c.extended(more.get(f, [])) for f, c in candidates.items()}
     weights = {(f, i): 0 for f, c in candidates.items() for i in range(len(c))}
-    for f, c in candidates.items():
-        for r in closest_counts(rows.where(F.col("fold") == f), {f: c}).collect():
-            weights[f, r.center_id] = r.n
+    for r in _fold_counts(rows, candidates).collect():
+        weights[r.fold, r.center_id] = r.n
+    scratch.drop("folds")
     return spark.createDataFrame([(f, i, p.tolist(), float(weights[f, i])) for f, c in candidates.items() for i, p in enumerate(c.points)], "fold int, point_id int, features array<double>, weight double")
 
 
+def _fold_counts(rows: DataFrame, candidates: dict[int, Centers]) -> DataFrame:
+    """``fold``, ``center_id``, ``n``: vectors of each fold nearest to its candidates, in one pass; a task sends one row per candidate."""
+    shared = rows.sparkSession.sparkContext.broadcast(candidates)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: np.zeros(len(c), np.int64) for f, c in shared.value.items()}
+        for b in batches:
+            x, at = matrix_of(b.column(0))
+            if len(at):
+                for (f,), own in groups_of(b.column(1).to_numpy()[at]):
+                    held[f] += np.bincount(shared.value[f].closest(x[own])[0], minlength=len(held[f]))
+        for f, n in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), f, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["fold", "center_id", "n"])
+
+    return rows.select("features", "fold").mapInArrow(count, "fold int, center_id int, n bigint").groupBy("fold", "center_id").agg(F.sum("n").alias("n"))
+
+
 def lloyds(vectors: DataFrame, clusterings: dict[int, Centers], rounds: int = 1, approx: bool = False) -> dict[int, Centers]:
     """``rounds`` of Lloyd's for all clusterings together; a center without vectors disappears.
 

@@ -38,6 +38,12 @@ def read_text(spark: SparkSession, paths: str | Sequence[str], header: Header |
     return raw.select(*[raw[f.name].try_cast("double").alias(f.name) if isinstance(f.dataType, T.DoubleType) else raw[f.name] for f in kinds])
 
 
+def read_lines(spark: SparkSession, paths: str | Sequence[str], comment: str | None = None) -> DataFrame:
+    """``value``: the lines of text files as they are, without empty ones and those that start with ``comment``."""
+    lines = spark.read.text(paths_of(paths)).where(F.col("value") != "")
+    return lines.where(~F.col("value").startswith(comment)) if comment else lines
+
+
 def read_table(spark: SparkSession, name: str, where: str | None = None) -> DataFrame:
     """A table ``db.table`` (database ``default`` without a dot). ``where`` prunes its partitions."""
     db, table = table_name(name)
