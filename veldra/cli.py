@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.operators import assign, centers, evaluate, kmeans_local, kmeans_parallel, normalize, pivot, sampling, summary
@@ -120,7 +120,11 @@ def normalize_(spark, a):
     s = summary.Summary.load(a.summary_file) if a.summary_file else summary.Summary()
     df = _records(spark, a)
     id_column = resolve(df.columns, a.id_column)[0] if a.id_column else None
-    records.write_vectors(normalize.normalize(df, s, id_column, a.transform), a.output_path, a.output_type, a.output_key, a.sparse, a.compress)
+    seen = Observation("normalize")
+    records.write_vectors(normalize.normalize(df, s, id_column, a.transform, dropped=seen), a.output_path, a.output_type, a.output_key, a.sparse, a.compress)
+    counts = seen.get
+    if counts["missing_number"] or counts["unknown_level"]:
+        print(f"of {counts['rows']} rows {counts['missing_number']} have a missing number and {counts['unknown_level']} an unknown level; they are dropped", file=sys.stderr)
 
 
 def _pivot_flags(p):

@@ -44,12 +44,14 @@ def transform_named(name: str | Transform) -> Transform:
 
 def one_hot(x: Column, levels: list[str], cell: float = 1.0) -> Column:
     """An array with ``cell`` at the level's place; all zero for other values."""
-    return F.transform(F.array(*[F.lit(v) for v in levels]), lambda v: F.when(v.eqNullSafe(x), F.lit(float(cell))).otherwise(0.0))
+    at = level_index(x, levels)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return F.when(at.isNull(), zeros(len(levels))).otherwise(F.concat(zeros(at), F.array(F.lit(float(cell))), zeros(F.lit(len(levels) - 1) - at)))
 
 
 def level_index(x: Column, levels: list[str]) -> Column:
     """Place of a level from 0; null for unknown values."""
-    at = F.array_position(F.array(*[F.lit(v) for v in levels]), x)
+    at = F.array_position(F.lit(list(levels)), x)
     return F.when(at > 0, (at - 1).cast("int"))
 
 

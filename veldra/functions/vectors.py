@@ -40,8 +40,13 @@ def to_storage(features: Column, id: Column | None = None, as_sparse: bool = Fal
 
 
 def from_storage(v: Column) -> Column:
-    """array<double> of the storage form."""
-    full = F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.when(F.array_position(v["indices"], i) > 0, F.get(v["values"], (F.array_position(v["indices"], i) - 1).cast("int"))).otherwise(0.0))
+    """array<double> of the storage form: between one non-zero element and the next lie zeros."""
+    held = F.array_sort(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("x")))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    before = lambda k: F.when(k > 0, F.get(held, k - 1)["i"]).otherwise(-1)
+    pieces = F.transform(held, lambda c, k: F.concat(zeros(c["i"] - before(k) - 1), F.array(c["x"])))
+    last = F.coalesce(F.get(held, F.size(held) - 1)["i"], F.lit(-1))
+    full = F.concat(F.flatten(pieces), zeros(v["size"] - last - 1))
     return F.when(F.size(v["values"]) == v["size"], v["values"]).otherwise(full)
 
 
