@@ -50,6 +50,13 @@ def p2_key_sums(spark, folder):
     return sums.withColumn("value_sum", sums.value_sum.cast("string"))
 
 
+@CATALOG.query(f"SELECT field_name, level_name, n_rows, CAST(value_sum AS VARCHAR) AS value_sum FROM ({_SUMS})")
+def p2_key_sums_local(spark, folder):
+    """The same by the splits' own dictionaries, as when the keys are too many to send to all tasks."""
+    sums = key_sums(table(spark, folder, "summary_histogram"), _KEYS, "level_count", dictionary_bytes=0)
+    return sums.withColumn("value_sum", sums.value_sum.cast("string"))
+
+
 @CATALOG.query(_FIELDS_SQL + f"""SELECT row_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(f) <> {len(COLUMNS)} THEN 'column_count' ELSE 'invalid_value' END AS reason
 FROM p WHERE NOT sound OR len(f) <> {len(COLUMNS)} OR NOT ({_valid_sql()})""")
 def p4_found(spark, folder):

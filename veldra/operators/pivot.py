@@ -26,7 +26,7 @@ def pivot_wide(df: DataFrame, keys: Sequence[str], attribute: str, values: Seque
     levels = sorted(levels)
     if len(levels) == 1:
         raise ValueError(f"{attribute} has a single level")
-    if bad := [v for v in values if not is_numeric(df.schema[v].dataType) and dict(df.dtypes)[v] != "string"]:
+    if bad := [v for v in values if not is_numeric(df.schema[v].dataType)]:
         raise ValueError(f"not numeric: {', '.join(bad)}")
     if how.lower() not in ("sum", "mean"):
         raise ValueError("the aggregation is sum or mean")

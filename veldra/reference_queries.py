@@ -453,10 +453,24 @@ def sketch_round1(spark, folder):
     return _rounded(kmeans_parallel.sketch_round(rows, {0: seed, 1: seed}, 20, 1730).drop("features"))
 
 
-@query()
+def _sketch_sql(rounds: int, per_round: int) -> str:
+    """The rounds of a sketch in two folds: m holds the distance to the nearest candidate so far, c the candidates in order."""
+    seed = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY CAST(vec_id AS VARCHAR) LIMIT 1)"
+    sql = f"""WITH p AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(floor({sql_uniform(1729, 'CAST(vec_id AS VARCHAR)')} * 2) AS INTEGER) AS fold FROM embeddings),
+m0 AS MATERIALIZED (SELECT id, fold, v, {_d2('v', seed)} AS d2 FROM p), c0 AS MATERIALIZED (SELECT f AS fold, 0 AS point_id, {seed} AS center FROM range(2) AS r(f))"""
+    for k in range(rounds):
+        sql += f""", n{k} AS MATERIALIZED (SELECT fold, id, v FROM (SELECT fold, id, v, row_number() OVER (PARTITION BY fold ORDER BY ln({sql_uniform(1730 + k, 'id')}) / d2 DESC, id) AS r FROM m{k} WHERE d2 > 0) WHERE r <= {per_round}),
+c{k + 1} AS MATERIALIZED (SELECT fold, point_id, center FROM c{k} UNION ALL SELECT fold, {1 + k * per_round} + row_number() OVER (PARTITION BY fold ORDER BY id) - 1, v FROM n{k}),
+m{k + 1} AS MATERIALIZED (SELECT m.id, m.fold, m.v, least(any_value(m.d2), min({_d2('m.v', 'n.v')})) AS d2 FROM m{k} m JOIN n{k} n ON n.fold = m.fold GROUP BY m.id, m.fold, m.v)"""
+    return sql + f""", a AS (SELECT fold, point_id, count(*) AS w FROM (SELECT p.fold, c.point_id, row_number() OVER (PARTITION BY p.id ORDER BY {_d2('p.v', 'c.center')}, c.point_id) AS r FROM p JOIN c{rounds} c ON c.fold = p.fold) WHERE r = 1 GROUP BY 1, 2)
+SELECT CAST(c.fold AS INTEGER) AS fold, CAST(c.point_id AS INTEGER) AS point_id, round(c.center[1], 6) + 0.0 AS first, CAST(coalesce(a.w, 0) AS DOUBLE) AS weight FROM c{rounds} c LEFT JOIN a USING (fold, point_id)"""
+
+
+@query(_sketch_sql(5, 20))
 def sketch_full(spark, folder):
     """Weighted candidates of five rounds in two folds."""
-    return kmeans_parallel.sketch(_embedded(spark, folder), 5, 20, 2)
+    points = kmeans_parallel.sketch(_embedded(spark, folder), 5, 20, 2)
+    return _rounded(points.select("fold", "point_id", F.col("features")[0].alias("first"), "weight"))
 
 
 def _kmeans(spark, folder, ks: list[int], **how) -> DataFrame:

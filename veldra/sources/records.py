@@ -44,6 +44,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], comment: str | N
     return lines.where(~F.col("value").startswith(comment)) if comment else lines
 
 
+def read_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, delimiter: str = ",", quote: str = '"', comment: str | None = None) -> DataFrame:
+    """Delimited lines as records of a schema of boolean, int, bigint, double and string columns; null where a text doesn't fit."""
+    if bad := [f.name for f in schema if not isinstance(f.dataType, TABLE_TYPES)]:
+        raise ValueError(f"columns of unsupported types: {', '.join(bad)}")
+    texts = read_text(spark, paths, Header(schema.names, ["symbolic"] * len(schema)), delimiter, quote, comment, typed=False)
+    return texts.select(*[texts[f.name] if isinstance(f.dataType, T.StringType) else texts[f.name].try_cast(f.dataType).alias(f.name) for f in schema])
+
+
 def read_table(spark: SparkSession, name: str, where: str | None = None) -> DataFrame:
     """A table ``db.table`` (database ``default`` without a dot). ``where`` prunes its partitions."""
     db, table = table_name(name)
@@ -99,6 +107,12 @@ def read_sequence_vectors(spark: SparkSession, paths: str | Sequence[str]) -> Da
     return both.select("id", F.transform(F.split("text", ","), lambda x: x.try_cast("double")).alias("features"))
 
 
+def read_sequence_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``value``: the texts of sequence files that ``write_records(..., "seq")`` wrote."""
+    parts = [spark.createDataFrame(spark.sparkContext.sequenceFile(p).map(lambda kv: (str(kv[1]),)), "value string") for p in paths_of(paths)]
+    return union_all(parts)
+
+
 def write_vectors(vectors: DataFrame, path: str, format: str = "parquet", key: str = "text", sparse: bool = False, compress: bool = False) -> None:
     """Vectors in storage form (parquet, avro), as svmlight lines, or as a keyed sequence file. Overwrites."""
     kind = format.lower()
