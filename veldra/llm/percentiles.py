@@ -57,7 +57,7 @@ def _same(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
 
 
-def exact_percentiles(df: DataFrame, groups: dict[str, Column], value: str, percentiles: Sequence[int] = PERCENTILES, bits: int = BITS, relative_error: float = 0.0) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: dict[str, Column], value: str, percentiles: Sequence[int] = PERCENTILES, bits: int = BITS, relative_error: float = 0.0, few: int = FEW) -> DataFrame:
     """``kind``, ``value_of``, ``n``, ``pct``, ``value`` for each group of each kind in ``groups``.
 
     ``percentiles`` are thousandths; the value is that of rank ceil(pct * n / 1000), at least 1, in
@@ -67,13 +67,13 @@ def exact_percentiles(df: DataFrame, groups: dict[str, Column], value: str, perc
     value don't come out; an empty table gives no rows.
     """
     wanted = lambda totals: totals.select(*_GROUP, "total", F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("pct")).withColumn("goal", F.expr(_RANK))
-    return _resolve(df, groups, value, wanted, bits, relative_error).select(*_GROUP, F.col("total").alias("n"), "pct", F.col("high").alias("value"))
+    return _resolve(df, groups, value, wanted, bits, relative_error, few).select(*_GROUP, F.col("total").alias("n"), "pct", F.col("high").alias("value"))
 
 
 _RANK = "greatest(1L, (pct * total + 999) div 1000)"
 
 
-def _resolve(df: DataFrame, groups: dict[str, Column], value: str, wanted, bits: int = BITS, relative_error: float = 0.0) -> DataFrame:
+def _resolve(df: DataFrame, groups: dict[str, Column], value: str, wanted, bits: int = BITS, relative_error: float = 0.0, few: int = FEW) -> DataFrame:
     """The value of each rank ``goal`` that ``wanted`` gives for the groups' totals."""
     scratch = Scratch(df.sparkSession, "percentiles")
     rows = _rows(df, groups, value)
@@ -93,7 +93,7 @@ def _resolve(df: DataFrame, groups: dict[str, Column], value: str, wanted, bits:
             break
         parent, shift = shift, max(0, shift - bits)
         inside = rows.withColumn("within", F.shiftright("key", parent))
-        if n_live <= FEW:
+        if n_live <= few:
             met = inside.alias("r").join(F.broadcast(live).alias("l"), _same("r", "l", [*_GROUP, "within"]), "left_semi").select("r.*")
             counts = _counts(met, F.shiftright("key", shift), ["within"])
         else:  # counts first, so that a hot group is a few rows of each task before it is shuffled
@@ -139,3 +139,16 @@ def combine_grids(grids: DataFrame, percentiles: Sequence[int] = PERCENTILES, st
     hit = upto.alias("u").join(wanted.alias("t"), _same("u", "t", _GROUP) & (F.col("u.upto") >= F.col("t.goal")))
     first = hit.groupBy("t.kind", "t.value_of", "t.total", "t.rank_error", "t.pct").agg(F.min("u.value").alias("value"))
     return first.select(*_GROUP, F.col("total").alias("n"), "pct", "value", "rank_error")
+
+
+def ranks_within(df: DataFrame, groups: dict[str, Column], value: str, combined: DataFrame) -> DataFrame:
+    """``kind``, ``value_of``, ``n``, ``pct``, ``within``: whether combined values stand within their ``rank_error``.
+
+    Counts the rows below and up to each value; the target rank must lie no farther from these ranks
+    than ``rank_error``. A group's values are met by its rows; counts add up in each task before the shuffle.
+    """
+    listed = combined.withColumn("total", F.col("n")).groupBy(*_GROUP).agg(F.collect_list(F.struct("pct", "value", "total", F.expr(_RANK).alias("goal"), "rank_error")).alias("c"))
+    met = _rows(df, groups, value).alias("r").join(F.broadcast(listed).alias("l"), _same("r", "l", _GROUP)).select("l.kind", "l.value_of", "r.v", F.explode("l.c").alias("c"))
+    counted = met.groupBy(*_GROUP, "c").agg(F.count_if(F.col("v") < F.col("c.value")).alias("below"), F.count_if(F.col("v") <= F.col("c.value")).alias("upto"))
+    off = F.greatest(F.col("below") + 1 - F.col("c.goal"), F.col("c.goal") - F.col("upto"), F.lit(0).cast("bigint"))
+    return counted.select(*_GROUP, F.col("c.total").alias("n"), F.col("c.pct").alias("pct"), (off <= F.col("c.rank_error")).alias("within"))

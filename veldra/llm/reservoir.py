@@ -192,14 +192,6 @@ def merge_draws(populations: dict, size: int, rng: np.random.Generator) -> dict:
     return {k: int(n) for k, n in zip(keys, drawn) if n}
 
 
-def _merge(spark, shards: DataFrame, size: int, rng: np.random.Generator) -> tuple[DataFrame, int]:
-    """Records that the shards give, and their population. One number per shard reaches the driver."""
-    populations = {r[0]: r[1] for r in shards.select("__shard", "__population").distinct().collect()}
-    draws = spark.createDataFrame(list(merge_draws(populations, size, rng).items()) or [(-1, 0)], "__shard bigint, __draw bigint")
-    kept = shards.join(F.broadcast(draws), "__shard").where(F.col("__order") < F.col("__draw"))
-    return kept.drop("__draw"), sum(populations.values())
-
-
 def reservoir_sample(df: DataFrame, size: int, seed: int = 1729, memory: int = MEMORY) -> DataFrame:
     """``size`` rows of ``df`` (all of them if there are fewer), each with the same chance.
 
@@ -216,8 +208,10 @@ def reservoir_sample(df: DataFrame, size: int, seed: int = 1729, memory: int = M
 class Reservoir:
     """A sample that grows with every piece: ``add`` pieces in any number, then ``sample``.
 
-    Each piece's shards merge with the sample so far, which stands for the rows seen before; the
-    state is a table of at most ``size`` rows in the shared folder.
+    Each piece's shards merge with the sample so far, which stands for the rows seen before. The
+    state is a table of at most ``size`` rows in the shared folder, still by shard: a shard's rows
+    are numbered in a random order, so its first k are a uniform draw of k, and how many each shard
+    gives is drawn on the driver. Nothing is sorted and no task holds the whole sample.
     """
 
     def __init__(self, spark, size: int, seed: int = 1729, memory: int = MEMORY):
@@ -226,6 +220,7 @@ class Reservoir:
         self.spark, self.size, self.seed, self.memory = spark, size, seed, memory
         self.scratch = Scratch(spark, "reservoir")
         self.pieces, self.seen = 0, 0
+        self.held: dict[int, int] = {}  # rows of the sample by shard
         self.rows: DataFrame | None = None
         self.names: list[str] | None = None
 
@@ -236,23 +231,26 @@ class Reservoir:
             self.names = df.columns
         df = df.toDF(*[f"c{i}" for i in range(len(self.names))])  # columns may have any names
         rng = np.random.default_rng([seed, 2])
-        shards = self.scratch.put(_shards(df, self.size, seed, f"{self.scratch.path}/segments", self.memory), f"shards-{self.pieces}")
-        new, n_new = _merge(self.spark, shards, self.size, rng)
-        new = new.drop("__shard", "__population", "__order")
-        if self.rows is None:
-            merged = new
-        else:
-            draw = merge_draws({0: self.seen, 1: n_new}, self.size, rng)
-            order = lambda x, salt: x.withColumn("__u", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed + salt))).orderBy("__u")
-            merged = order(self.rows, 1).limit(draw.get(0, 0)).drop("__u").unionByName(order(self.scratch.put(new, f"new-{self.pieces}"), 2).limit(draw.get(1, 0)).drop("__u"))
-        self.seen += n_new
-        self.rows = self.scratch.put(merged, f"sample-{self.pieces}")
+        shards = _shards(df, self.size, seed, f"{self.scratch.path}/segments", self.memory).withColumn("__shard", F.col("__shard") + F.lit(self.pieces << 32))
+        shards = self.scratch.put(shards, f"shards-{self.pieces}")
+        # one number per shard reaches the driver
+        populations = {r[0]: r[1] for r in shards.select("__shard", "__population").distinct().collect()}
+        n_new = sum(populations.values())
+        if n_new:
+            shares = merge_draws({0: self.seen, 1: n_new}, self.size, rng)
+            draws = merge_draws(self.held, shares.get(0, 0), rng) | merge_draws(populations, shares.get(1, 0), rng)
+            both = shards.drop("__population") if self.rows is None else self.rows.unionByName(shards.drop("__population"))
+            listed = self.spark.createDataFrame(list(draws.items()), "__shard bigint, __draw bigint")
+            merged = both.join(F.broadcast(listed), "__shard").where(F.col("__order") < F.col("__draw")).drop("__draw")
+            self.rows, self.held, self.seen = self.scratch.put(merged, f"sample-{self.pieces}"), draws, self.seen + n_new
+        elif self.rows is None:
+            self.rows = self.scratch.put(shards.drop("__population"), f"sample-{self.pieces}")
         self.scratch.drop(f"shards-{self.pieces}")
 
     def sample(self) -> DataFrame:
         if self.rows is None:
             raise ValueError("add a piece first")
-        return self.rows.toDF(*self.names)
+        return self.rows.drop("__shard", "__order").toDF(*self.names)
 
     def stream(self, rows: DataFrame):
         """A streaming query that adds every micro-batch as a piece."""

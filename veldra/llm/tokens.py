@@ -139,20 +139,16 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
 
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    placed = rows.withColumn("__b", F.pmod(F.xxhash64("__id", F.length("__t")), F.lit(blocks)))
-    own = placed.where(~F.col("__new")).select(F.col("__b").alias("__c"), F.explode(F.array_distinct(words_of(F.col("__t")))).alias("word")).distinct().join(words, "word")
+    # the words go along with each row, split once and by the same rules as those of the table
+    placed = rows.select("__id", *split, F.pmod(F.xxhash64("__id", F.length("__t")), F.lit(blocks)).alias("__b"))
+    own = rows.where(~F.col("__new")).select(F.pmod(F.xxhash64("__id", F.length("__t")), F.lit(blocks)).alias("__c"), F.explode(F.array_distinct(words_of(F.col("__t")))).alias("word")).distinct().join(words, "word")
 
     def meet(texts: pa.Table, table: pa.Table) -> pa.Table:
-        known, tokenizer = _Table(pa.array(table["word"].to_pylist(), pa.string()), pa.array(table["ids"].to_pylist(), pa.list_(pa.int32()))), _tokenizer(vocabulary)
-        import regex
-
-        found = regex.compile(PATTERN)
+        one = lambda c, kind: table[c].combine_chunks().cast(kind) if table.num_rows else pa.array([], kind)
+        known, tokenizer = _Table(one("word", pa.string()), one("ids", pa.list_(pa.int32()))), _tokenizer(vocabulary)
         parts = []
-        for b in texts.to_batches(max_chunksize=500):
-            new = b.column("__new").to_pylist()
-            w = pa.array([[] if k else found.findall(t) for k, t in zip(new, b.column("__t").to_pylist())], pa.list_(pa.string()))
-            whole = pa.array([t if k else None for k, t in zip(new, b.column("__t").to_pylist())], pa.string())
-            parts.append(_emit(pa.RecordBatch.from_arrays([b.column("__id"), w, whole], names=["__id", "w", "whole"]), known, tokenizer))
+        for b in texts.select(["__id", "w", "whole"]).to_batches(max_chunksize=500):
+            parts += [_emit(part, known, tokenizer) for part in _slices(b, 1)]
         return pa.Table.from_batches(parts, schema=pa.schema([("__id", texts.schema.field("__id").type), ("ids", pa.list_(pa.int32()))]))
 
     return placed.groupBy("__b").cogroup(own.groupBy("__c")).applyInArrow(meet, f"__id {kind}, ids array<int>").withColumnRenamed("__id", doc_id)
