@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__
 from veldra.plans.joins import salted_join
+from veldra.plans.scratch import Scratch, drop_all
 
 SMALL = "/root/testdata/sf0.001"
-SOME = ["summary_dirty", "summary_levels", "normalize_z", "normalize_onehot", "pivot_multi", "sample_grouped", "covar_by_group", "kassign_two_clusterings", "closest_counts", "lloyds_3", "koutlier_topk", "stability", "sketch_round1", "formula_matrix", "csv_roundtrip", "p2_key_sums", "p4_found"]
+SOME = ["summary_dirty", "summary_levels", "normalize_z", "normalize_onehot", "pivot_multi", "sample_grouped", "covar_by_group", "kassign_two_clusterings", "closest_counts", "lloyds_3", "koutlier_topk", "stability", "sketch_round1", "formula_matrix", "csv_roundtrip", "p2_key_sums", "p2_key_sums_local", "p4_found", "p4_report", "sketch_full", "vectors_sequence", "external_table", "typed_records", "summary_json", "evaluation_files", "normalize_joined_levels", "rules_of_arguments", "lsh_recall", "shuffled_layout", "sample_equal_rows", "normalize_dropped"]
 
 
 def test_every_sql_belongs_to_a_query():
@@ -41,3 +42,18 @@ def test_salted_joins_equal_plain_ones(spark):
     one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(str, salted_join(many, one, ["k"], ["id"], how).collect())) == sorted(map(str, many.join(one, ["k"], how).collect()))
+
+
+def test_scratch_tables_go_when_told(spark):
+    first, second = Scratch(spark, "a"), Scratch(spark, "b")
+    for s in (first, second):
+        for n in ("x", "y", "z"):
+            assert s.put(spark.range(3), n).count() == 3
+    first.keep("y")
+    assert first.size("y") > 0
+    with pytest.raises(Exception, match="does not exist"):
+        first.size("x")
+    drop_all(spark)
+    for s in (first, second):
+        with pytest.raises(Exception, match="does not exist"):
+            s.size("y")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.operators import assign, centers, evaluate, kmeans_local, kmeans_parallel, normalize, pivot, sampling, summary
+from veldra.plans.scratch import drop_all
 from veldra.plans.workflow import sketch_arrays
 from veldra.roles import Header, is_numeric, resolve
 from veldra.sources import records
@@ -340,7 +341,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         a = parser.parse_args(args[1:])
     except SystemExit as e:
         return 0 if e.code == 0 else 1
-    if spark is None:
+    own = spark is None
+    if own:
         builder = SparkSession.builder.appName(f"veldra {args[0]}")
         spark = (builder.master("local[*]") if a.local else builder).getOrCreate()
     try:
@@ -351,6 +353,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     except ValueError as e:
         print(f"Argument Error: {e}", file=sys.stderr)
         return 1
+    finally:
+        if own:  # all results are written
+            drop_all(spark)
     return 0
 
 

@@ -83,7 +83,7 @@ def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int
     scratch = Scratch(spark, "sketch")
     known = identified(vectors, scratch)
     rows = scratch.put(crossfold(known, folds, ["id"], seed), "folds")
-    scratch.drop("vectors"), scratch.drop("named")
+    scratch.drop("vectors", "often", "named")
     if seeds is None:
         first = rows.where("features is not null").orderBy("id").limit(1).collect()
         seeds = [r.features for r in first]
