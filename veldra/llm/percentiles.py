@@ -82,6 +82,7 @@ def _resolve(df: DataFrame, groups: dict[str, Column], value: str, wanted, bits:
     totals = counts.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
     targets = wanted(totals).withColumn("rank", F.col("goal"))
     targets = scratch.put(_narrow(counts, targets, []), "targets-0")
+    scratch.drop("counts-0")
     resolved = (F.col("low") == F.col("high")) | (F.col("high") - F.col("low") <= relative_error * F.greatest(F.abs("low"), F.abs("high")))
     done, k = [targets.where(resolved)], 0
     while shift > 0:
