@@ -35,7 +35,9 @@ _NUMBER = r"[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?"
 
 def line_of(raw: Column) -> Column:
     """The line without a byte order mark at the start and white space at the end."""
-    return F.regexp_replace(raw, r"(?U)^\x{FEFF}|\s++$", "")
+    last = F.substring(raw, -1, 1)
+    plain = last.between("!", "~") & ~raw.startswith("\ufeff")  # nothing to take off
+    return F.when(plain, raw).otherwise(F.regexp_replace(raw, r"(?U)^\x{FEFF}|\s++$", ""))
 
 
 def carries_data(line: Column) -> Column:
@@ -54,9 +56,8 @@ def _trim(x: Column) -> Column:
 
 
 def number_of(field: Column) -> Column:
-    """A continuous field as double; null where it is empty or NA (or no number)."""
-    x = _trim(field)
-    return F.when(x.rlike(f"^{_NUMBER}$"), x.try_cast("double"))
+    """A valid continuous field as double; null where it is empty or NA."""
+    return F.coalesce(field.try_cast("double"), _trim(field).try_cast("double"))
 
 
 def _joined_fit(f: Column, at: Sequence[int], most: float) -> Column:
@@ -73,6 +74,29 @@ def _joined_fit(f: Column, at: Sequence[int], most: float) -> Column:
     return F.when(joined.rlike(rf"(?U)^{one}(?:,{one}){{{len(at) - 1}}}$"), in_range).otherwise(False)
 
 
+def _plain_pattern(columns: Sequence[str]) -> str:
+    """A pattern of lines that conform at sight: no quotes, short plain numbers, rates from 0 to 1."""
+    number, rate = r"(?:NA|[0-9]{1,18}+(?:\.[0-9]{0,18}+)?+)?+", r"(?:NA|0(?:\.[0-9]{0,18}+)?+|1(?:\.0{0,18}+)?+)?+"
+
+    def one(c: str) -> str:
+        if c == "protocol_type":
+            return f"(?:{'|'.join(PROTOCOLS)})"
+        if c in FLAGS:
+            return "[01]"
+        return '[^",]++' if c in SYMBOLIC else rate if c.endswith("_rate") else number
+
+    return "^" + ",".join(one(c) for c in columns) + "$"
+
+
+def conforms(line: Column, columns: Sequence[str]) -> Column:
+    """Whether a line has sound quoting, as many fields as ``columns`` and valid values.
+
+    Most lines conform at sight; the fields of the others are taken apart.
+    """
+    parsed = F.when(line.rlike(_LINE), _parsed(line, columns)["fits"]).otherwise(False)
+    return F.when(line.rlike(_plain_pattern(columns)), True).otherwise(parsed)
+
+
 def values_fit(f: Column, columns: Sequence[str] = COLUMNS) -> Column:
     """Whether every field of an array of as many fields as ``columns`` has a valid value."""
     numbers = [i for i, c in enumerate(columns) if c not in SYMBOLIC]
@@ -104,13 +128,14 @@ def load_valid(raw: DataFrame, row_id: str = "row_id", line: str = "raw_line", c
 
 
 def _conforming(raw: DataFrame, row_id: str, line: str, columns: Sequence[str]) -> DataFrame:
-    lines = raw.select(F.col(row_id).alias("__id"), line_of(F.col(line)).alias("__line")).where(carries_data(F.col("__line")) & F.col("__line").rlike(_LINE))
-    return lines.select("__id", _parsed(F.col("__line"), columns).alias("__p")).where("__p.fits").select("__id", F.col("__p.f").alias("__f"))
+    """``__id``, ``__line`` of the conforming rows."""
+    lines = raw.select(F.col(row_id).alias("__id"), line_of(F.col(line)).alias("__line")).where(carries_data(F.col("__line")))
+    return lines.where(conforms(F.col("__line"), columns))
 
 
 def _typed(rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     f = F.col("__f")
-    return rows.select(F.col("__id").alias(row_id), *[(f[i] if c in SYMBOLIC else number_of(f[i])).alias(c) for i, c in enumerate(columns)])
+    return rows.select("__id", fields_of(F.col("__line")).alias("__f")).select(F.col("__id").alias(row_id), *[(f[i] if c in SYMBOLIC else number_of(f[i])).alias(c) for i, c in enumerate(columns)])
 
 
 def _remainder(raw: DataFrame, loaded: DataFrame, row_id: str, line: str, scratch: Scratch) -> DataFrame:
