@@ -136,3 +136,15 @@ def test_cyrillic_damage(spark, damage):
 def test_rolling_captions_count_once():
     text = "1\n00:01 --> 00:02\none two\nthree four\n\n2\n00:02 --> 00:03\nthree four\nfive six"
     assert dialogue.tokens(text) == ["one", "two", "three", "four", "five", "six"]
+
+
+def test_a_word_misread_into_another_items_word(spark):
+    items = [(1, "the captain found seven candles under every marble bridge before winter came again"), (2, "nobody at the station saw a handle or the heavy copper bucket that day")]
+    docs = [
+        (1, "The captain found saven candles under every marble bridge before winter came again"),
+        (2, "The captain found seven stations under every marble bridge before winter came again"),
+        (3, "00:01 --> 00:02\nThe captain found seven [" + "a very long sound " * 30 + "]\ncandles under every marble\n\n2\n00:03 --> 00:04\nbridge before [winter came again"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items + [(3, "a station with handles and saven that stations bring")], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaked_items(d, i).collect()} == {(1, 1), (3, 1)}

@@ -23,6 +23,8 @@ LEAST_WORDS = 12
 WINDOW = 4
 #: Items of more bytes than this are scanned for in several passes.
 ITEM_BYTES = 8 << 20
+#: Characters of words that may have been misread into another item's word.
+LEAST_NEAR = 5
 _TOKENS_AT_ONCE = 200_000
 _BITS = 22
 
@@ -72,6 +74,7 @@ class ItemIndex:
                 parent[root(f)] = root(forms[0])
         number: dict[str, int] = {}
         self.known = {f: number.setdefault(root(f), len(number) + 1) for f in list(parent)}
+        self.near = self._near_classes(len(number) + 1)
         self.forms = [f for w in words for f in w]
         self.flat = np.array([self.known[f[0]] for f in self.forms], np.int64)
         self.owner = np.repeat(np.arange(len(items)), [len(w) for w in words])
@@ -83,6 +86,33 @@ class ItemIndex:
         self.bitmap[self._slot(self.keys)] = True
         self.memory = _Memory(self.class_of)
 
+    def _near_classes(self, classes: int) -> np.ndarray:
+        """Sorted codes of ordered pairs of classes with long forms that one misread character tells apart.
+
+        Such forms are equal, or equal to each other's, when each loses at most one character.
+        """
+        self.classes = classes
+        reduced: dict[str, list[str]] = {}
+        for f in self.known:
+            if len(f) >= LEAST_NEAR:
+                for v in {f, *(f[:i] + f[i + 1 :] for i in range(len(f)))}:
+                    reduced.setdefault(v, []).append(f)
+        pairs = set()
+        for forms in reduced.values():
+            for i, x in enumerate(forms):
+                for y in forms[:i]:
+                    a, b = self.known[x], self.known[y]
+                    if a != b and dialogue.close(x, y):
+                        pairs |= {a * classes + b, b * classes + a}
+        return np.array(sorted(pairs), np.int64)
+
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which words of other classes may be misread from each other."""
+        if not len(self.near):
+            return np.zeros(len(x), bool)
+        code = x * self.classes + y
+        return self.near[np.minimum(np.searchsorted(self.near, code), len(self.near) - 1)] == code
+
     def _starts(self, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Where windows of known words of one owner begin."""
         m = len(flat) - self.window + 1
@@ -142,7 +172,7 @@ class ItemIndex:
         return next((self.known[f] for f in forms if f in self.known), 0) if forms else -1
 
     def _run(self, flat, doc, p, q, least: int, illegible: bool) -> np.ndarray:
-        """Length, up to twice ``least``, of the run around each hit; words of no item match anything if ``illegible``."""
+        """Length, up to twice ``least``, of the run around each hit; if ``illegible``, words of no item match anything and others what they may be misread from."""
         length = np.full(len(p), self.window)
         for step, first in ((1, self.window), (-1, -1)):
             alive = np.arange(len(p))
@@ -150,7 +180,7 @@ class ItemIndex:
                 a, b = p[alive] + k, q[alive] + k
                 inside = (a >= 0) & (a < len(flat)) & (b >= 0) & (b < len(self.flat))
                 alive, a, b = alive[inside], a[inside], b[inside]
-                same = (flat[a] == self.flat[b]) | (illegible & (flat[a] == 0))
+                same = (flat[a] == self.flat[b]) | (illegible & ((flat[a] == 0) | self._alike(flat[a], self.flat[b])))
                 same &= (doc[a] == doc[p[alive]]) & (self.owner[b] == self.owner[q[alive]])
                 alive = alive[same]
                 length[alive] += 1
@@ -160,7 +190,9 @@ class ItemIndex:
         run, k = 0, -min(q - int(np.searchsorted(self.owner, self.owner[q])), p - int(np.searchsorted(doc, doc[p])))
         while p + k < len(flat) and q + k < len(self.flat) and doc[p + k] == doc[p] and self.owner[q + k] == self.owner[q]:
             same = flat[p + k] == self.flat[q + k]
-            if not same and flat[p + k] == 0:
+            if not same and flat[p + k]:
+                same = bool(self._alike(flat[p + k : p + k + 1], self.flat[q + k : q + k + 1])[0])
+            elif not same:
                 same = any(dialogue.close(x, y) for x in dialogue.skeletons(token(p + k)) for y in self.forms[q + k])
             run = run + 1 if same else 0
             if run >= least:
