@@ -33,16 +33,16 @@ def _ordered(x: Column) -> Column:
 
 
 def _rows(df: DataFrame, groups: dict[str, Column], value: str) -> DataFrame:
-    """kind, value_of, v, key: a row for each group that a row belongs to; null and NaN left out."""
+    """kind, value_of, v, key, w: a row of weight 1 for each group that a row belongs to; null and NaN left out."""
     x = F.col(value).cast("double")
     clean = df.where(x.isNotNull() & ~F.isnan(x)).select(F.when(x == 0, 0.0).otherwise(x).alias("v"), *[g.cast("string").alias(f"g{i}") for i, g in enumerate(groups.values())])
     keyed = clean.withColumn("key", _ordered(F.col("v")))
     member = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"g{i}").alias("value_of")) for i, k in enumerate(groups)])
-    return keyed.select("v", "key", F.explode(member).alias("g")).select("g.kind", "g.value_of", "v", "key")
+    return keyed.select("v", "key", F.explode(member).alias("g")).select("g.kind", "g.value_of", "v", "key", F.lit(1).cast("bigint").alias("w"))
 
 
 def _counts(rows: DataFrame, part: Column, parents: list[str]) -> DataFrame:
-    return rows.groupBy(*_GROUP, *parents, part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return rows.groupBy(*_GROUP, *parents, part.alias("part")).agg(F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def _narrow(counts: DataFrame, targets: DataFrame, parents: list[str]) -> DataFrame:
@@ -67,16 +67,15 @@ def exact_percentiles(df: DataFrame, groups: dict[str, Column], value: str, perc
     value don't come out; an empty table gives no rows.
     """
     wanted = lambda totals: totals.select(*_GROUP, "total", F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("pct")).withColumn("goal", F.expr(_RANK))
-    return _resolve(df, groups, value, wanted, bits, relative_error, few).select(*_GROUP, F.col("total").alias("n"), "pct", F.col("high").alias("value"))
+    return _resolve(_rows(df, groups, value), wanted, bits, relative_error, few).select(*_GROUP, F.col("total").alias("n"), "pct", F.col("high").alias("value"))
 
 
 _RANK = "greatest(1L, (pct * total + 999) div 1000)"
 
 
-def _resolve(df: DataFrame, groups: dict[str, Column], value: str, wanted, bits: int = BITS, relative_error: float = 0.0, few: int = FEW) -> DataFrame:
-    """The value of each rank ``goal`` that ``wanted`` gives for the groups' totals."""
-    scratch = Scratch(df.sparkSession, "percentiles")
-    rows = _rows(df, groups, value)
+def _resolve(rows: DataFrame, wanted, bits: int = BITS, relative_error: float = 0.0, few: int = FEW) -> DataFrame:
+    """The value of each rank ``goal`` that ``wanted`` gives for the groups' total weights."""
+    scratch = Scratch(rows.sparkSession, "percentiles")
     shift = 64 - bits
     counts = scratch.put(_counts(rows, F.shiftright("key", shift), []), "counts-0")
     totals = counts.groupBy(*_GROUP).agg(F.sum("n").alias("total"))
@@ -117,7 +116,7 @@ def percentile_grids(df: DataFrame, groups: dict[str, Column], value: str, piece
     step = F.expr(f"transform(sequence(1, {steps}), i -> (i * total + {steps - 1}) div {steps})")
     ranks = F.when(F.col("total") <= steps, F.sequence(F.lit(1).cast("bigint"), "total")).otherwise(F.array_distinct(F.concat(F.array(F.lit(1).cast("bigint")), step)))
     wanted = lambda totals: totals.select(*_GROUP, "total", F.lit(0).alias("pct"), F.explode(ranks).alias("goal"))
-    grid = _resolve(df, joined, value, wanted)
+    grid = _resolve(_rows(df, joined, value), wanted)
     parts = F.split("value_of", sep, 2)
     clean = lambda c: F.when(c != "", F.substring(c, 2, 1 << 30))
     return grid.select(clean(parts[0]).alias("piece"), "kind", clean(parts[1]).alias("value_of"), F.col("total").alias("n"), F.col("goal").alias("rank"), F.col("high").alias("value"))
@@ -128,18 +127,19 @@ def combine_grids(grids: DataFrame, percentiles: Sequence[int] = PERCENTILES, st
 
     Between two neighbouring ranks of a piece's grid lie fewer than n / steps + 1 of its rows, and
     none if n is at most ``steps``. So ``value`` stands in the union of all pieces at a rank that
-    differs from the target by at most ``rank_error``, the sum of these. Only grids are read.
+    differs from the target by at most ``rank_error``, the sum of these. Only grids are read; each of
+    their rows weighs as many ranks as it is from the one before, and the weighted rows are bisected
+    as any others, so a group of very many pieces is partial sums in each task.
     """
     w = Window.partitionBy("piece", *_GROUP).orderBy("rank")
-    step = grids.withColumn("more", F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0)))
-    summed = step.groupBy(*_GROUP, "value").agg(F.sum("more").alias("more"))
-    upto = summed.withColumn("upto", F.sum("more").over(Window.partitionBy(*_GROUP).orderBy("value")))
+    weighted = grids.select(*_GROUP, F.col("value").alias("v"), _ordered(F.col("value")).alias("key"), (F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0))).cast("bigint").alias("w"), "rank", "n")
+    rows = Scratch(grids.sparkSession, "grids").put(weighted, "rows")
     gap = F.when(F.col("n") > steps, F.expr(f"n div {steps} + 1")).otherwise(0)
-    sizes = grids.where("rank = n").groupBy(*_GROUP).agg(F.sum("n").alias("total"), F.sum(gap).alias("rank_error"))
-    wanted = sizes.select(*_GROUP, "total", "rank_error", F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("pct")).withColumn("goal", F.expr(_RANK))
-    hit = upto.alias("u").join(wanted.alias("t"), _same("u", "t", _GROUP) & (F.col("u.upto") >= F.col("t.goal")))
-    first = hit.groupBy("t.kind", "t.value_of", "t.total", "t.rank_error", "t.pct").agg(F.min("u.value").alias("value"))
-    return first.select(*_GROUP, F.col("total").alias("n"), "pct", "value", "rank_error")
+    errors = rows.where("rank = n").groupBy(*_GROUP).agg(F.sum(gap).alias("rank_error"))
+    wanted = lambda totals: totals.select(*_GROUP, "total", F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("pct")).withColumn("goal", F.expr(_RANK))
+    found = _resolve(rows.drop("rank", "n"), wanted).alias("f")
+    joined = found.join(errors.alias("e"), _same("f", "e", _GROUP))
+    return joined.select("f.kind", "f.value_of", F.col("f.total").alias("n"), "f.pct", F.col("f.high").alias("value"), "e.rank_error")
 
 
 def ranks_within(df: DataFrame, groups: dict[str, Column], value: str, combined: DataFrame) -> DataFrame:
