@@ -56,18 +56,21 @@ def sketch_round(vectors: DataFrame, so_far: dict[int, Centers], per_round: int,
     return scored.withColumn("r", rank).where(F.col("r") <= per_round).select("fold", "id", "features", "d2")
 
 
-def identified(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id``, ``features`` as a table in the shared folder, in which every row has an id of its own.
+def _folded(vectors: DataFrame, folds: int, seed: int, scratch: Scratch) -> DataFrame:
+    """``id``, ``features``, ``fold`` as a table in the shared folder, in which every row has an id of its own.
 
     Rows with a null, empty or repeated id get their place in the table behind it.
     """
     rows = vectors.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.col("features").cast("array<double>").alias("features"))
-    rows = scratch.put(rows.withColumn("place", F.monotonically_increasing_id()), "vectors")
-    often = scratch.put(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id = ''").select("id", F.lit(True).alias("often")), "often")
+    rows = scratch.put(crossfold(rows, folds, ["id"], seed).withColumn("place", F.monotonically_increasing_id()), "rows")
+    often = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id = ''")
     if often.isEmpty():
-        return rows.select("id", "features")
-    named = salted_join(rows, often, ["id"], ["place"], "left")
-    return scratch.put(named.select(F.when(F.col("often"), F.concat_ws("#", "id", F.col("place").cast("string"))).otherwise(F.col("id")).alias("id"), "features"), "named")
+        return rows.drop("place")
+    named = salted_join(rows.drop("fold"), often, ["id"], ["place"], "left")
+    named = named.select(F.when(F.col("n").isNotNull(), F.concat_ws("#", "id", F.col("place").cast("string"))).otherwise(F.col("id")).alias("id"), "features")
+    named = scratch.put(crossfold(named, folds, ["id"], seed), "named")
+    scratch.drop("rows")
+    return named
 
 
 def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int = 2, seeds: Sequence[Sequence[float]] | None = None, seed: int = 1729, approx: bool = False, **index) -> DataFrame:
@@ -81,9 +84,7 @@ def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "sketch")
-    known = identified(vectors, scratch)
-    rows = scratch.put(crossfold(known, folds, ["id"], seed), "folds")
-    scratch.drop("vectors", "often", "named")
+    rows = _folded(vectors, folds, seed, scratch)
     if seeds is None:
         first = rows.where("features is not null").orderBy("id").limit(1).collect()
         seeds = [r.features for r in first]
@@ -97,7 +98,7 @@ def sketch(vectors: DataFrame, rounds: int = 5, per_round: int = 100, folds: int
     weights = {(f, i): 0 for f, c in candidates.items() for i in range(len(c))}
     for r in _fold_counts(rows, candidates).collect():
         weights[r.fold, r.center_id] = r.n
-    scratch.drop("folds")
+    scratch.keep()
     return spark.createDataFrame([(f, i, p.tolist(), float(weights[f, i])) for f, c in candidates.items() for i, p in enumerate(c.points)], "fold int, point_id int, features array<double>, weight double")
 
 
