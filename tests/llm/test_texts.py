@@ -78,6 +78,34 @@ def test_repetitive_documents_are_all_found(spark):
     assert {r.doc_id for r in repetitive_documents(df).collect()} == want and len(want) > 20
 
 
+def test_the_forest_and_its_threshold_come_from_all_documents(spark):
+    """Of 4300 ordinary documents only the one of the greatest hashed id repeats a word: it is the odd one."""
+    ids = spark.range(4300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', i))) AS text")
+    odd = ids.selectExpr("max_by(doc_id, xxhash64(cast(doc_id AS string), 1729)) AS d").first().d
+    docs = ids.selectExpr("doc_id", f"if(doc_id = {odd}, concat(text, ' w1 w2'), text) AS text")
+    scores = {n: {r.doc_id: (r.score, r.anomalous) for r in repetition_scores(docs.repartition(n)).collect()} for n in (1, 5)}
+    assert scores[1] == scores[5] and len(scores[1]) == 4300
+    assert all(scores[1][odd][0] > s for i, (s, _) in scores[1].items() if i != odd)
+
+
+def test_levels_of_ranges_are_those_of_the_rows():
+    """Ranges of parts of the rows combine to those of all rows, at every level of a growing forest."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 4)), 1)
+    forest, draws, level = Forest.bare(9, 4), np.random.default_rng(1), 0
+    while True:
+        parts = [forest.ranges(p, level) for p in np.array_split(x, 3)]
+        whole = forest.ranges(x, level)
+        assert sum(p[1].sum() for p in parts) == whole[1].sum() and (whole[0] < 9 * 2**level).all()
+        for place, n, low, high in zip(*whole):
+            mine = [tuple(c[i] for c in p[1:]) for p in parts for i in np.flatnonzero(p[0] == place)]
+            assert n == sum(m[0] for m in mine) and (low == np.min([m[1] for m in mine], axis=0)).all() and (high == np.max([m[2] for m in mine], axis=0)).all()
+        if not forest.grow(level, *whole, draws):
+            break
+        level += 1
+    assert level == 4 and (forest.score(np.full((1, 4), 9.0)) > forest.score(np.zeros((1, 4)))).all()
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))

@@ -1,8 +1,9 @@
 """Repetition inside single documents: rule statistics, scored by an isolation forest.
 
-The statistics of every document are computed from its whole text. A forest is grown on a bounded
-sample of labelled ordinary documents; its threshold is calibrated on labelled rows so that every
-row beyond the wanted share is anomalous, and an exact check of the share follows.
+The statistics of every document are computed from its whole text, and every document is labelled by
+its exact share. A forest is grown on all ordinary documents, level by level; its threshold is
+calibrated on all rows so that every row beyond the wanted share is anomalous, and an exact check of
+the share follows.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.forest import Forest
+from veldra.llm.forest import Forest, average_path
 from veldra.plans.scratch import Scratch
 
 #: Lines of times and of numbers, and markup. The byte order mark may stand before the first number.
 _NOT_WORDS = r"(?m)^[^\n]*?-->[^\n]*$|^[\s\x{FEFF}]*\d+[ \t\r]*$|<[^<>]*>|\{[^{}]*\}"
 FEATURES = ("repeated_share", "repeated_share_9", "repeated_share_3", "repeated_words", "longest_share")
-#: Documents labelled for fitting and calibration.
-SAMPLE = 4096
+#: Trees of the forest and the levels below their roots.
+TREES, DEPTH = 100, 8
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_AT_ONCE = 1 << 20
 
@@ -100,48 +101,71 @@ def repetition_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return words.mapInArrow(_measure, shape).withColumnRenamed("__id", doc_id)
 
 
-def _labelled(stats: DataFrame, doc_id: str, sample: int, seed: int) -> list:
-    """The ``sample`` documents with words of smallest hashed id, all if there are fewer.
+def _values(b: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([b.column(c).to_numpy() for c in FEATURES])
 
-    Hashes far above the expected bound are left out first, so that tasks sort few rows.
-    """
-    some = stats.where("n_words > 0").withColumn("u", F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)))
-    total = some.count()
-    share = 4 * sample / max(total, 1)
-    near = some.where(F.col("u") < int(-(2**63) + share * 2**64)) if share < 1 else some
-    rows = near.orderBy("u", *FEATURES).limit(sample).select(*FEATURES).collect()
-    if len(rows) < min(sample, total):
-        rows = some.orderBy("u", *FEATURES).limit(sample).select(*FEATURES).collect()
-    return rows
 
+def ordinary_forest(ordinary: DataFrame, seed: int, trees: int = TREES, depth: int = DEPTH) -> Forest:
+    """An isolation forest of all rows of ``ordinary``.
 
-def repetition_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_share: float = 0.30, sample: int = SAMPLE, seed: int = 1729) -> DataFrame:
+    Each pass over the rows gives the ranges of the nodes of one level of all trees, whose splits are
+    drawn within them. What a pass brings to the driver is bounded by ``trees`` and ``depth``.
+    """
+    sides = [f"{n}{i}" for n in ("lo", "hi") for i in range(len(FEATURES))]
+    forest, rng, level = Forest.bare(trees, depth), np.random.default_rng(seed), 0
+    while True:
+        shared = ordinary.sparkSession.sparkContext.broadcast(forest)
+
+        def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size = trees * 2**level
+            n, low, high = np.zeros(size, np.int64), np.full((size, len(FEATURES)), np.inf), np.full((size, len(FEATURES)), -np.inf)
+            for b in batches:
+                place, count, least, most = shared.value.ranges(_values(b), level)
+                n[place] += count
+                low[place], high[place] = np.minimum(low[place], least), np.maximum(high[place], most)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), *(pa.array(c) for c in (*low[at].T, *high[at].T))], names=["place", "n", *sides])
+
+        shape = "place bigint, n bigint, " + ", ".join(f"{c} double" for c in sides)
+        merged = ordinary.select(*FEATURES).mapInArrow(ranges, shape).groupBy("place")
+        t = merged.agg(F.sum("n").alias("n"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in sides]).toArrow()
+        shared.destroy()
+        place, n = t["place"].to_numpy(), t["n"].to_numpy()
+        low, high = (np.column_stack([t[c].to_numpy() for c in part]) for part in (sides[: len(FEATURES)], sides[len(FEATURES) :]))
+        if not level:
+            forest.norm = float(max(average_path(n.max(initial=1)), 1e-9))
+        if not forest.grow(level, place, n, low, high, rng):
+            return forest
+        level += 1
+
+
+def repetition_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_share: float = 0.30, seed: int = 1729) -> DataFrame:
     """Each row's statistics with ``score`` (of the isolation forest) and ``anomalous``.
 
-    At most ``sample`` documents, those of the smallest hashed ids, are labelled by ``least_share``.
-    The forest grows on the ordinary ones. Calibration takes the labelled repetitive rows and the
-    ordinary rows lifted to ``least_share``; the threshold is the lowest score among them. An empty
-    table gives no rows.
+    All documents with words are labelled by ``least_share``. The forest grows on all ordinary ones.
+    Calibration takes all repetitive rows and all ordinary rows lifted to ``least_share``; the
+    threshold is the lowest score among them. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repetition")
     stats = scratch.put(repetition_statistics(docs, doc_id, text), "statistics")
-    rows = _labelled(stats, doc_id, sample, seed)
-    x = np.array([tuple(r) for r in rows], float).reshape(-1, len(FEATURES))
-    high = x[:, 0] >= least_share
-    ordinary = x[~high] if (~high).any() else np.zeros((1, len(FEATURES)))
-    forest = Forest.fit(ordinary, seed=seed)
-    lifted = np.maximum(ordinary, [least_share, 0, least_share, least_share, 0])
-    threshold = float(forest.score(np.concatenate([x[high], lifted])).min()) - 1e-9
+    forest = ordinary_forest(stats.where((F.col("n_words") > 0) & (F.col("repeated_share") < least_share)), seed)
     shared = spark.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shared.value.score(np.column_stack([b.column(c).to_numpy() for c in FEATURES]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= threshold)], names=[*b.schema.names, "score", "anomalous"])
-
-    shape = ", ".join(f"`{n}` {t}" for n, t in stats.dtypes) + ", score double, anomalous boolean"
-    return stats.mapInArrow(score, shape)
+            x = _values(b)
+            s = shared.value.score(x)
+            low = x[:, 0] < least_share
+            bar = s.copy()
+            bar[low] = shared.value.score(np.maximum(x[low], [least_share, 0, least_share, least_share, 0]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(bar)], names=[*b.schema.names, "score", "bar"])
+
+    shape = ", ".join(f"`{n}` {t}" for n, t in stats.dtypes) + ", score double, bar double"
+    scored = scratch.put(stats.mapInArrow(score, shape), "scored")
+    threshold = scored.where("n_words > 0").agg(F.min("bar")).first()[0]
+    scratch.drop("statistics")
+    return scored.withColumn("anomalous", F.col("score") >= (0.0 if threshold is None else threshold - 1e-9)).drop("bar")
 
 
 def repetitive_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_share: float = 0.30, **options) -> DataFrame:
